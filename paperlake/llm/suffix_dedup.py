@@ -75,8 +75,15 @@ def remove_all_but_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     per = marked.groupBy("k", "t").agg(F.collect_set(F.struct("start", "length", "keep")).alias("_spans"))
     schema = docs.schema
     place = schema.names.index("text")
-    full = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_t", F.hash("text"))
-    full = full.join(per, (full["_k"] == per["k"]) & (full["_t"] == per["t"]), "left").drop("k", "t", "_k", "_t")
+    fresh = "spans"
+    while fresh in docs.columns:
+        fresh += "_"
+    whole = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("doc"),
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("k"),
+        F.hash(docs["text"]).alias("t"),
+    )
+    full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("_spans").alias(fresh))
 
     def run(batches):
         for batch in batches:

@@ -4,7 +4,7 @@ The plan has two shuffles of small rows and one of the texts:
 
 1. Each document is winnowed (Schleimer et al. 2003). Equal windows select equal anchor grams, so rows dealt by the
    anchor's hash bring equal windows together; a run of windows with one anchor is one row.
-2. A sorted pass over each partition compares neighbours only. Runs with equal contexts are repeats as a whole and
+2. Equal runs of a block are collapsed before the shuffle. A sorted pass over each partition compares neighbours only. Runs with equal contexts are repeats as a whole and
    need no text, however many they are. One run of each class goes on where an anchor has several classes.
 3. The contexts of those runs are cut from the texts and dealt by anchor into shards, and the shard's index (an
    enhanced suffix array or a suffix automaton) finds the repeats that begin or end inside a run.
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._spark import cut
-from ._text import _R2, anchors, blocks, prefix, span_hash, token_offsets, word_hashes, words
+from ._text import _R2, anchors, blocks, mix, prefix, span_hash, token_offsets, word_hashes, words
 from .automaton import SuffixAutomaton
 from .esa import SuffixArray, longest_cover
 
@@ -59,10 +59,24 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarra
     return word_hashes(data, start, end), token_offsets(row, len(offsets) - 1)
 
 
+def _collapse(h, c, lo, k, n):
+    """Pre-aggregation: of equal runs in a block only the first keeps its anchor's key; all are known to repeat (n < 0).
+
+    The others are dealt by a key of their own, so a passage that a third of all documents share is no hot key.
+    """
+    _, first, group, size = np.unique(mix(h + c * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True, return_counts=True)
+    known = size[group] > 1
+    other = known.copy()
+    other[first] = False
+    spread = mix((k.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) ^ lo.astype(np.uint64) ^ h)
+    return np.where(other, spread, h), np.where(known, -n, n)
+
+
 def _anchor_rows(unit: str, window: int, gram: int) -> Callable:
     def run(batches):
         for rows, data, offsets in blocks(batches):
             h, c, row, lo, n = anchors(*_tokens(data, offsets, unit), window, gram)
+            h, n = _collapse(h, c, lo, _column(rows, "k")[row], n)
             yield pa.RecordBatch.from_arrays(
                 [h.view(np.int64), c.view(np.int64), _column(rows, "k")[row], _column(rows, "t")[row].astype(np.int32), lo.astype(np.int32), n.astype(np.int32)],
                 names=["h", "c", "k", "t", "lo", "n"],
@@ -103,7 +117,7 @@ class Resolver:
         opens = np.concatenate(([self.first_class], ~bucket))
         class_start = np.concatenate(([0], np.flatnonzero(~same) + 1))
         first_class = opens[class_start][np.cumsum(np.concatenate(([0], (~same).astype(np.int64))))]
-        repeat = prev | after
+        repeat = prev | after | (rows["n"] < 0)
         ask = (~prev & ~first_class) | (~after & first_class & follows)
         if not end:
             self.held = {k: v[-1:] for k, v in rows.items()}
@@ -119,6 +133,7 @@ def _resolve(batches):
     def out(found):
         rows, repeat, ask = found
         at = np.concatenate((repeat, ask))
+        rows["n"] = np.abs(rows["n"])
         yield pa.RecordBatch.from_arrays(
             [np.concatenate((rows["c"][repeat], rows["h"][ask]))] + [rows[k][at] for k in names[2:]] + [np.arange(len(at)) < len(repeat)],
             names=["h", *names[2:], "whole"],

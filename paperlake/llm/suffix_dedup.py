@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -61,18 +60,13 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def remove_all_but_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Documents with each repeated passage kept in one place only: in the group's smallest (doc_id, start).
+def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Documents without the bytes of repeated passages; characters cut in two go whole.
 
-    A byte goes when an occurrence other than its group's first covers it and no first occurrence does. Cut
-    characters go whole. All columns of ``docs`` stay; ``n_chars`` follows the new text.
+    All columns of ``docs`` stay; ``n_chars``, where there is one, follows the new text.
     """
-    keys, spans = repeated_windows(docs, "byte", window)
-    first = spans.groupBy("group_id", "length").agg(F.min(F.struct("k", "start", "t")).alias("first"))
-    marked = spans.join(first, ["group_id", "length"]).select(
-        "k", "t", "start", "length", (F.struct("k", "start", "t") == F.col("first")).alias("keep")
-    )
-    per = marked.groupBy("k", "t").agg(F.collect_set(F.struct("start", "length", "keep")).alias("_spans"))
+    _, spans = repeated_windows(docs, "byte", window)
+    per = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     schema = docs.schema
     place = schema.names.index("text")
     fresh = "spans"
@@ -83,23 +77,14 @@ def remove_all_but_first(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("k"),
         F.hash(docs["text"]).alias("t"),
     )
-    full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("_spans").alias(fresh))
+    full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("spans").alias(fresh))
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(schema)).to_pylist()):
-                if text is not None and spans:
-                    raw = text.encode()
-                    stays = np.ones(len(raw), bool)
-                    for s in spans:
-                        if not s["keep"]:
-                            stays[s["start"] : s["start"] + s["length"]] = False
-                    for s in spans:
-                        if s["keep"]:
-                            stays[s["start"] : s["start"] + s["length"]] = True
-                    text = np.frombuffer(raw, np.uint8)[stays].tobytes().decode(errors="ignore")
-                texts.append(text)
+            texts = [
+                t if t is None or not spans else _kept(t.encode(), spans)[0].decode(errors="ignore")
+                for t, spans in zip(batch.column(place).to_pylist(), batch.column(len(schema)).to_pylist())
+            ]
             columns = list(batch.columns[: len(schema)])
             columns[place] = pa.array(texts, batch.schema.field(place).type)
             if "n_chars" in schema.names:

@@ -35,6 +35,8 @@ from .esa import SuffixArray, longest_cover
 HOT = 2000
 #: Context bytes gathered into one shard's index.
 SHARD_BYTES = 1 << 20
+#: Most rows of a broadcast table of anchors.
+BROADCAST_ROWS = 100_000
 _SIGN = np.uint64(1 << 63)
 
 
@@ -291,15 +293,16 @@ def repeated_windows(docs: DataFrame, unit: str, window: int) -> tuple[DataFrame
     )
     runs = cut(runs)
     asked = runs.where("not whole")
-    hot = asked.groupBy("h").count().where(F.col("count") > HOT).select(F.col("h").alias("hot_h"))
+    hot = cut(asked.groupBy("h").count().where(F.col("count") > HOT).select(F.col("h").alias("hot_h")))
+    if hot.count() <= BROADCAST_ROWS:  # 16 bytes a row; beyond it Spark joins by shuffle
+        hot = F.broadcast(hot)
     wanted = (
         asked.join(hot, asked.h == hot.hot_h, "left")
         .groupBy("k", "t")
         .agg(F.collect_set(F.struct("lo", "n", "h", F.col("hot_h").isNotNull().alias("hot"))).alias("asked"))
     )
-    texts = keys.select("k", "t", "text")
     shards = (
-        texts.join(wanted, ["k", "t"])
+        keys.join(wanted, ["k", "t"])  # doc_id goes along, so this exchange and that of with_spans are one
         .mapInArrow(_context_rows(unit, window), "key long, payload binary, k long, t int, lo int, n int")
         .repartition("key")
         .sortWithinPartitions("key", "payload")

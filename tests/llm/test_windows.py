@@ -75,7 +75,7 @@ def test_repeated_and_null_ids(spark):
 def test_clashing_columns_and_empty(spark, odd):
     extra = odd.withColumn("k", F.lit(1)).withColumn("t", F.lit(2)).withColumn("h", F.lit(3)).withColumn("spans", F.lit("x"))
     assert rows(suffix_dedup.digest(extra)) == rows(suffix_dedup.digest(odd))
-    kept = suffix_dedup.remove_all_but_first(extra)
+    kept = suffix_dedup.remove(extra)
     assert kept.columns == extra.columns and kept.count() == extra.count()
     none = odd.where("false")
     assert rows(suffix_dedup.digest(none)) == [] == rows(substring_dedup.digest(none))
@@ -88,10 +88,10 @@ def test_queries_on_whole_table(spark, sf):
     assert rows(queries.op10_substring_dedup(spark, sf)) == word_rows(ids, texts, 35)
 
 
-def test_first_occurrence_stays(spark):
+def test_remove(spark, odd):
     passage = "".join(f"{i:04d}" for i in range(100))
-    df = make(spark, ["A" + passage + "B", "C" + passage, "clean"])
-    assert [r[0] for r in suffix_dedup.remove_all_but_first(df).orderBy("doc_id").select("text").collect()] == ["A" + passage + "B", "C", "clean"]
+    df = make(spark, ["A" + passage + "é", "C" + passage, "clean", None])
+    assert [tuple(r) for r in suffix_dedup.remove(df).orderBy("doc_id").select("text", "n_chars").collect()] == [("Aé", 2), ("C", 1), ("clean", 5), (None, None)]
 
 
 def test_repeat_groups_hold_equal_bytes(spark, odd):

@@ -2,8 +2,8 @@
 
 Pages are grouped by host; a line's pages are divided by the host's pages. Distinct (host, line) pairs of a page are
 counted with map-side sums on 96-bit line hashes, so a third of all pages on one host, or one line on all of them, is
-a sum of partial counts. Only lines above the ratio come back, as a set of hashes per page; the text never shuffles
-but for that one join.
+a sum of partial counts. Only lines above the ratio come back, as a list of hashes per host: by broadcast up to a
+checked size, else by a join over salted hosts.
 
 A null host is a host of its own; null and empty texts have no lines and stay as they are; a host with fewer than
 ``least_pages`` pages keeps all its lines; blank lines are never dropped; rows that repeat an id count as pages each;
@@ -14,8 +14,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._spark import cut
+
 RATIO_PERCENT = 20
 LEAST_PAGES = 5
+#: Most boilerplate lines (12 bytes each) that are broadcast; more are joined by shuffle, hosts dealt over SALTS.
+BROADCAST_LINES = 200_000
+SALTS = 32
 
 
 def _hashed(line: Column) -> Column:
@@ -41,10 +46,16 @@ def dedup(pages: DataFrame, host: str, lines: str | Column, percent: int = RATIO
     page = pages.select(
         F.struct(*(pages[c] for c in pages.columns if c != into)).alias("page"), F.col(host).alias("host_name"), array.alias("lines")
     )
-    bad = boilerplate(page, "host_name", "lines", percent, least_pages)
+    bad = cut(boilerplate(page, "host_name", "lines", percent, least_pages))
     # a line on so large a share of a host's pages has few others like it: 100 / percent times a page's lines in all
     per_host = bad.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("bad"))
     none = F.array().cast("array<struct<a:bigint,b:int>>")
-    joined = page.withColumn("host", F.coalesce(F.xxhash64("host_name"), F.lit(0))).join(per_host, "host", "left")
+    page = page.withColumn("host", F.coalesce(F.xxhash64("host_name"), F.lit(0)))
+    if bad.count() <= BROADCAST_LINES:
+        joined = page.join(F.broadcast(per_host), "host", "left")
+    else:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
+        page = page.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)))
+        joined = page.join(per_host.withColumn("salt", salt), ["host", "salt"], "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("bad", none), _hashed(x)))
     return joined.select("page", kept.alias("kept")).select("page.*", F.col("kept").alias(into))

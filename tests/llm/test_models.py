@@ -176,7 +176,9 @@ def test_line_dedup_oracle(spark, sf):
     assert sorted(map(tuple, got.collect())) == want
 
 
-def test_line_dedup_cases(spark):
+@pytest.mark.parametrize("broadcast", [line_dedup.BROADCAST_LINES, 0])
+def test_line_dedup_cases(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
     pages = [("h", ["menu", f"text {i}", " ", "menu"]) for i in range(10)] + [(None, ["menu", f"n {i}"]) for i in range(6)] + [("small", ["menu"])] * 2 + [("h", None), ("h", [])]
     df = spark.createDataFrame([(i, h, lines, "x") for i, (h, lines) in enumerate(pages)], "id int, host string, lines array<string>, page string")
     got = {r.id: r for r in line_dedup.dedup(df.withColumn("bad", F.lit(1)), "host", "lines").collect()}

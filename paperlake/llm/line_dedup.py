@@ -54,8 +54,8 @@ def dedup(pages: DataFrame, host: str, lines: str | Column, percent: int = RATIO
     if bad.count() <= BROADCAST_LINES:
         joined = page.join(F.broadcast(per_host), "host", "left")
     else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
         page = page.withColumn("salt", F.pmod(F.xxhash64("lines"), F.lit(SALTS)))
-        joined = page.join(per_host.withColumn("salt", salt), ["host", "salt"], "left")
+        joined = page.join(per_host.select("host", "bad", salts.alias("salt")), ["host", "salt"], "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("bad", none), _hashed(x)))
     return joined.select("page", kept.alias("kept")).select("page.*", F.col("kept").alias(into))

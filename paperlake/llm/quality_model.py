@@ -209,6 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = trusted.hint("merge")  # ids grow with the corpus: joined by shuffle at every size, never broadcast
     language = F.coalesce("lang", F.lit(ALL))
     calibration = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0
     learned = base.where((F.length("text") > 0) & ~calibration).join(trusted, "doc_id", "left_semi").select(language.alias("lang"), "text")

@@ -7,7 +7,8 @@ checked size, else by a join over salted hosts.
 
 A null host is a host of its own; null and empty texts have no lines and stay as they are; a host with fewer than
 ``least_pages`` pages keeps all its lines; blank lines are never dropped; rows that repeat an id count as pages each;
-extra columns stay.
+extra columns stay. With ``copies_once`` the rows of a host that hold the same lines (by a 128-bit hash) count as one
+page, in a line's pages and in the host's, so that the lines of a document with many exact copies are not boilerplate.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ def _hashed(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str, lines: str, percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, lines: str, percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """(host, line hash a, b) of lines on more than ``percent`` of 100 of a host's pages; ``lines`` is an array column."""
-    host_key = F.coalesce(F.xxhash64(host), F.lit(0))
-    total = pages.groupBy(host_key.alias("host")).agg(F.count("*").alias("pages"))
-    distinct = F.array_distinct(F.transform(F.filter(lines, lambda x: ~x.rlike(r"^[ \t\r]*\z")), _hashed))
-    seen = pages.select(host_key.alias("host"), F.explode(distinct).alias("h")).groupBy("host", "h.a", "h.b").agg(F.count("*").alias("n"))
+    host_key = F.coalesce(F.xxhash64(host), F.lit(0)).alias("host")
+    distinct = F.array_distinct(F.transform(F.filter(lines, lambda x: ~x.rlike(r"^[ \t\r]*\z")), _hashed)).alias("hs")
+    if copies_once:  # map-side, so a host's copies meet as one row a task
+        whole = [F.xxhash64(lines).alias("wa"), F.xxhash64(F.lit(1), lines).alias("wb")]
+        pages = cut(pages.select(host_key, *whole, distinct).dropDuplicates(["host", "wa", "wb"]).select("host", "hs"))
+    else:
+        pages = pages.select(host_key, distinct)
+    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    seen = pages.select("host", F.explode("hs").alias("h")).groupBy("host", "h.a", "h.b").agg(F.count("*").alias("n"))
     return (
         seen.where("n > 1").join(total.where(F.col("pages") >= least_pages), "host")
         .where(F.col("n") * 100 > F.col("pages") * percent)
@@ -40,13 +46,13 @@ def boilerplate(pages: DataFrame, host: str, lines: str, percent: int = RATIO_PE
     )
 
 
-def dedup(pages: DataFrame, host: str, lines: str | Column, percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, into: str = "kept") -> DataFrame:
+def dedup(pages: DataFrame, host: str, lines: str | Column, percent: int = RATIO_PERCENT, least_pages: int = LEAST_PAGES, into: str = "kept", copies_once: bool = False) -> DataFrame:
     """``pages`` and an array column ``into`` (replaced if there) of the lines that are not boilerplate, in order."""
     array = F.col(lines) if isinstance(lines, str) else lines
     page = pages.select(
         F.struct(*(pages[c] for c in pages.columns if c != into)).alias("page"), F.col(host).alias("host_name"), array.alias("lines")
     )
-    bad = cut(boilerplate(page, "host_name", "lines", percent, least_pages))
+    bad = cut(boilerplate(page, "host_name", "lines", percent, least_pages, copies_once))
     # a line on so large a share of a host's pages has few others like it: 100 / percent times a page's lines in all
     per_host = bad.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("bad"))
     none = F.array().cast("array<struct<a:bigint,b:int>>")

@@ -62,3 +62,34 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).count() > 0 and pipeline.ORACLE_SQL is None
+
+
+def test_a_copied_document_is_no_boilerplate(spark):
+    """A third of a source's rows are one document; its text must outlive the line stage and leave the pipeline once."""
+    prose = lambda k: "\n".join(f"line {j} of text {k} has its own words {k * 31 + j}" for j in range(8))
+    texts = [prose(0)] * 10 + [f"menu of the site\n{prose(k)}" for k in range(1, 21)]
+    texts += [prose(100)] * 2 + [prose(k) for k in range(101, 104)]
+    rows = [(i, t, "en", "a" if i < 30 else "b", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {i: t.removeprefix("menu of the site\n") for i, t in enumerate(texts)}
+    kept = pipeline.near_duplicate_stage(spark, spark.createDataFrame([(*r[:1], got[r[0]], *r[2:]) for r in rows], docs.schema), "")
+    assert [r.text for r in kept.where("doc_id < 10 or doc_id in (30, 31)").orderBy("doc_id").collect()] == [prose(0), prose(100)]
+
+
+def test_stages_with_copies_counted_once(spark, sf, monkeypatch):
+    """The chain of test_stages, its plain Python counting a source's different texts instead of its rows."""
+
+    def once(rows):
+        texts, seen = defaultdict(set), defaultdict(set)
+        for r in rows:
+            texts[r["source"]].add(r["text"])
+            for line in (r["text"] or "").split("\n"):
+                if line.strip(" \t\r"):
+                    seen[r["source"], line].add(r["text"])
+        drop = {k for k, v in seen.items() if len(texts[k[0]]) >= 5 and len(v) > 1 and len(v) * 100 > len(texts[k[0]]) * 20}
+        text = lambda r: r["text"] and "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop)
+        return [r | {"text": text(r), "n_chars": None if r["text"] is None else len(text(r))} for r in rows]
+
+    monkeypatch.setitem(globals(), "without_boilerplate", once)
+    test_stages(spark, sf)

@@ -4,9 +4,11 @@ Counts come from all trusted texts and stay in tables: n-grams are summed by key
 (Chen and Goodman's three a level) and context totals are aggregations and joins on hash-dealt keys. The model is then
 joined to the texts shard by shard: a shard holds what the characters after some set of preceding characters need at
 every order, has at most about ``SHARD_ROWS`` rows, and is broadcast alone; each pass adds its share of every
-document's log-probability. One trusted document in ``HOLD`` (by a hash of its id) is not counted but kept for
-calibration: a document is kept unless its perplexity exceeds ``SLACK`` times the quantile of calibration documents of
-its language and length class (of all languages where fewer than ``LEAST`` of them are there).
+document's log-probability. One trusted document in ``HOLD`` (by a hash of its id) is not counted. Thresholds are
+cross-fitted: each trusted document has a perplexity by a model of the other ``HOLD`` - 1 folds, so all of them calibrate.
+A document is kept unless its perplexity exceeds ``SLACK`` times the quantile of calibration documents of its language
+and length class; where fewer than ``LEAST`` of them are there, the median of its language times the quantile of the
+length class (of all classes, where that has as few) of perplexities divided by their language's median.
 
 Null and empty texts have no perplexity and are not kept; a language (or null) without trusted text is scored by the
 model of all trusted text and its quantiles; without any trusted text nothing has a perplexity and all texts are kept.
@@ -58,20 +60,24 @@ def _codes(text: str) -> np.ndarray:
 
 
 def counts(trusted: DataFrame) -> DataFrame:
-    """(lang, gram, n): character n-grams of the highest order in (lang, text) rows, also for all languages together."""
+    """(lang, fold, gram, n): character n-grams of the highest order in (lang, fold, text) rows."""
 
     def run(batches):
-        found: dict[str, Counter] = {}
+        found: dict[tuple[str, int], Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lang, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if text:
                     padded = _PAD * (ORDER - 1) + text
-                    found.setdefault(lang, Counter()).update(map("".join, zip(*(padded[i:] for i in range(ORDER)))))
-        for lang, grams in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "gram", "n"])
+                    found.setdefault((lang, fold), Counter()).update(map("".join, zip(*(padded[i:] for i in range(ORDER)))))
+        for (lang, fold), grams in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array([fold] * len(grams), pa.int32()), pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["lang", "fold", "gram", "n"])
 
-    own = trusted.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    own = cut(own)
+    return cut(trusted.mapInArrow(run, "lang string, fold int, gram string, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n")))
+
+
+def without(found: DataFrame, fold: int) -> DataFrame:
+    """(lang, gram, n): the counts of all folds but one, also for all languages together."""
+    own = cut(found.where(F.col("fold") != fold).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     return own.where(F.col("lang") != ALL).unionByName(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "gram", "n"))
 
 
@@ -202,21 +208,11 @@ def _add(docs: DataFrame, shard, first: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lang string, text string, logs double")
 
 
-def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold and kept of every document.
-
-    ``labels`` (doc_id, quality, toxic) names the trusted ones: quality 1 and not toxic.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = trusted.hint("merge")  # ids grow with the corpus: joined by shuffle at every size, never broadcast
-    language = F.coalesce("lang", F.lit(ALL))
-    calibration = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0
-    learned = base.where((F.length("text") > 0) & ~calibration).join(trusted, "doc_id", "left_semi").select(language.alias("lang"), "text")
-    table = model(counts(learned))
-    scored = base.withColumns({"lang": language, "logs": F.lit(0.0)}).select("doc_id", "lang", "text", "logs")
+def _perplexities(rows: DataFrame, grams: DataFrame, shard_rows: int) -> DataFrame:
+    """doc_id, lang, model, n_chars, class and perplexity of (doc_id, lang, text) rows by the model of ``grams``."""
+    scored = rows.withColumn("logs", F.lit(0.0)).select("doc_id", "lang", "text", "logs")
     known: list[str] = []
-    for i, shard in enumerate(_shards(table, shard_rows)):
+    for i, shard in enumerate(_shards(model(grams), shard_rows)):
         known = shard.languages
         if known:
             scored = _add(scored, shard, i == 0)
@@ -224,15 +220,38 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     ppl = F.when((chars > 0) & F.lit(bool(known)), F.exp(-F.col("logs") / chars))
     size_class = sum(((chars >= c).cast("int") for c in CLASSES), F.lit(0))
     model_lang = F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ALL))
-    scored = cut(scored.select("doc_id", "lang", model_lang.alias("model"), chars.cast("long").alias("n_chars"), size_class.alias("class"), ppl.alias("perplexity")))
-    mine = scored.where(F.col("perplexity").isNotNull() & calibration).join(trusted, "doc_id", "left_semi")
-    quant = (F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * SLACK).alias("threshold")
-    own = mine.where(F.col("model") != ALL).groupBy("model", "class").agg(quant, F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
-    whole = mine.groupBy("class").agg(quant.alias("of_class"))
-    every = mine.agg(quant.alias("of_all"))
-    # a row a language and length class, a row a length class, one row
-    scored = scored.join(F.broadcast(own), ["model", "class"], "left").join(F.broadcast(whole), "class", "left").join(F.broadcast(every), F.lit(True), "left")
-    scored = scored.withColumn("threshold", F.coalesce("threshold", "of_class", "of_all"))
+    return cut(scored.select("doc_id", "lang", model_lang.alias("model"), chars.cast("long").alias("n_chars"), size_class.alias("class"), ppl.alias("perplexity")))
+
+
+def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity, threshold and kept of every document.
+
+    ``labels`` (doc_id, quality, toxic) names the trusted ones: quality 1 and not toxic.
+    """
+    language = F.coalesce(F.col("lang").cast("string"), F.lit(ALL))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language.alias("lang"), "text")
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    trusted = trusted.hint("merge")  # ids grow with the corpus: joined by shuffle at every size, never broadcast
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)).cast("int")
+    learned = cut(base.where(F.length("text") > 0).join(trusted, "doc_id", "left_semi").withColumn("fold", fold))
+    found = counts(learned.select("lang", "fold", "text"))
+    scored = _perplexities(base, without(found, 0), shard_rows)
+    mine = scored.where(F.col("perplexity").isNotNull() & (fold == 0)).join(trusted, "doc_id", "left_semi")
+    for f in range(1, HOLD):
+        mine = mine.unionByName(_perplexities(learned.where(F.col("fold") == f), without(found, f), shard_rows).where("perplexity is not null"))
+    mine = cut(mine.select("model", "class", "perplexity"))
+    quant = lambda x: F.percentile_approx(x, F.lit(quantile), F.lit(10000)) * SLACK
+    theirs = mine.where(F.col("model") != ALL)
+    own = theirs.groupBy("model", "class").agg(quant("perplexity").alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
+    middle = theirs.groupBy("model").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10000)).alias("middle"))
+    shares = theirs.join(F.broadcast(middle), "model").withColumn("share", F.col("perplexity") / F.col("middle"))
+    shape = shares.groupBy("class").agg(quant("share").alias("shape"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
+    whole = mine.groupBy("class").agg(quant("perplexity").alias("of_class"))
+    every = mine.agg(quant("perplexity").alias("of_all")).join(shares.agg(quant("share").alias("any_shape")))
+    # a row a language and length class, a row a language, two a length class, one row
+    scored = scored.join(F.broadcast(own), ["model", "class"], "left").join(F.broadcast(middle), "model", "left")
+    scored = scored.join(F.broadcast(shape), "class", "left").join(F.broadcast(whole), "class", "left").join(F.broadcast(every), F.lit(True), "left")
+    scored = scored.withColumn("threshold", F.coalesce("threshold", F.col("middle") * F.coalesce("shape", "any_shape"), "of_class", "of_all"))
     return scored.select(
         "doc_id", F.nullif("lang", F.lit(ALL)).alias("lang"), "n_chars", "perplexity", "threshold",
         F.when(F.col("n_chars") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),

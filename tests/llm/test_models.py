@@ -104,6 +104,33 @@ def test_perplexity(spark, shard_rows):
     assert not got[62].kept and got[63].kept
 
 
+def test_thresholds_are_the_languages_own(spark):
+    """All trusted texts calibrate, each by a model without its fold; few ones of a language take its median."""
+    rng = random.Random(4)
+    prose = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    many, few = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)], ["der", "hund", "und", "die"]
+    texts = [prose(many, rng.randint(5, 20)) for _ in range(40)] + [prose(few, rng.randint(8, 25)) for _ in range(20)] + [prose(["xq", "hund", "der", "die"], 20)]
+    langs = ["en"] * 40 + ["de"] * 21
+    df = spark.createDataFrame([(i, t, lang, "", 1) for i, (t, lang) in enumerate(zip(texts, langs))], DDL)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    fold = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality_model.HOLD))).collect()}
+    found = {}
+    for f in range(quality_model.HOLD):
+        for lang in ("en", "de"):
+            p = kneser_ney([texts[i] for i in range(60) if langs[i] == lang and fold[i] != f], quality_model.ORDER)
+            for i in (i for i in range(60) if langs[i] == lang and fold[i] == f):
+                padded = "\x02" * (quality_model.ORDER - 1) + texts[i]
+                found[i] = math.exp(-sum(p(padded[j : j + quality_model.ORDER]) for j in range(len(texts[i]))) / len(texts[i]))
+    size = lambda i: sum(len(texts[i]) >= c for c in quality_model.CLASSES)
+    assert {size(i) for i in range(60)} == {0} and sum(x == "en" for x in langs) >= quality_model.LEAST > 20
+    of = {lang: sorted(found[i] for i in range(60) if langs[i] == lang) for lang in ("en", "de")}
+    middle = {lang: v[math.ceil(len(v) / 2) - 1] for lang, v in of.items()}
+    want = {"en": of["en"][-1], "de": middle["de"] * max(found[i] / middle[langs[i]] for i in found)}
+    got = quality_model.score(df, labels).collect()
+    assert all(math.isclose(r.threshold, want[r.lang] * quality_model.SLACK, rel_tol=1e-6) for r in got)
+    assert not next(r.kept for r in got if r.doc_id == 60)
+
+
 def test_quality_query_and_no_labels(spark, sf, odd):
     got = queries.op1_quality_classifier(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()

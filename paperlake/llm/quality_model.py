@@ -6,8 +6,8 @@ joined to the texts shard by shard: a shard holds what the characters after some
 every order, has at most about ``SHARD_ROWS`` rows, and is broadcast alone; each pass adds its share of every
 document's log-probability. One trusted document in ``HOLD`` (by a hash of its id) is not counted. Thresholds are
 cross-fitted: each trusted document has a perplexity by a model of the other ``HOLD`` - 1 folds, so all of them calibrate.
-A document is kept unless its perplexity exceeds ``SLACK`` times the quantile of calibration documents of its language
-and length class; where fewer than ``LEAST`` of them are there, the median of its language times the quantile of the
+A document is kept unless its perplexity exceeds the quantile of calibration documents of its language and length
+class; where fewer than ``LEAST`` of them are there, the median of its language times the quantile of the
 length class (of all classes, where that has as few) of perplexities divided by their language's median.
 
 Null and empty texts have no perplexity and are not kept; a language (or null) without trusted text is scored by the
@@ -28,7 +28,6 @@ from ._spark import cut
 ORDER = 4
 SHARD_ROWS = 1_000_000
 QUANTILE = 0.995
-SLACK = 1.2
 HOLD = 5
 LEAST = 30
 #: Discounts stay positive, so that no character is impossible.
@@ -240,7 +239,7 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     for f in range(1, HOLD):
         mine = mine.unionByName(_perplexities(learned.where(F.col("fold") == f), without(found, f), shard_rows).where("perplexity is not null"))
     mine = cut(mine.select("model", "class", "perplexity"))
-    quant = lambda x: F.percentile_approx(x, F.lit(quantile), F.lit(10000)) * SLACK
+    quant = lambda x: F.percentile_approx(x, F.lit(quantile), F.lit(10000))
     theirs = mine.where(F.col("model") != ALL)
     own = theirs.groupBy("model", "class").agg(quant("perplexity").alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
     middle = theirs.groupBy("model").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10000)).alias("middle"))

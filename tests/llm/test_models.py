@@ -127,10 +127,20 @@ def test_thresholds_are_the_languages_own(spark):
     middle = {lang: v[math.ceil(len(v) / 2) - 1] for lang, v in of.items()}
     want = {"en": of["en"][-1], "de": middle["de"] * max(found[i] / middle[langs[i]] for i in found)}
     got = quality_model.score(df, labels).collect()
-    assert all(math.isclose(r.threshold, want[r.lang] * quality_model.SLACK, rel_tol=1e-6) for r in got)
+    assert all(math.isclose(r.threshold, want[r.lang], rel_tol=1e-6) for r in got)
     assert not next(r.kept for r in got if r.doc_id == 60)
 
 
+def test_threshold_is_the_quantile_itself(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(100)]
+    texts = [" ".join(rng.choice(words) for _ in range(15)) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, "en", "", 1) for i, t in enumerate(texts)], DDL)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    held = quality_model.score(df, labels, quantile=0.5).where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_model.HOLD)) == 0)
+    assert 0.25 < held.agg(F.avg((~F.col("kept")).cast("int"))).first()[0] < 0.75
+
+
 def test_quality_query_and_no_labels(spark, sf, odd):
     got = queries.op1_quality_classifier(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()

@@ -75,7 +75,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("doc"),
         F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("k"),
-        F.hash(docs["text"]).alias("t"),
+        F.xxhash64(docs["text"]).alias("t"),
     )
     full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("spans").alias(fresh))
 

@@ -46,7 +46,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"),
-        F.hash("text").alias("t"),
+        F.xxhash64("text").alias("t"),
     )
 
 
@@ -80,7 +80,7 @@ def _anchor_rows(unit: str, window: int, gram: int) -> Callable:
             h, c, row, lo, n = anchors(*_tokens(data, offsets, unit), window, gram)
             h, n = _collapse(h, c, lo, _column(rows, "k")[row], n)
             yield pa.RecordBatch.from_arrays(
-                [h.view(np.int64), c.view(np.int64), _column(rows, "k")[row], _column(rows, "t")[row].astype(np.int32), lo.astype(np.int32), n.astype(np.int32)],
+                [h.view(np.int64), c.view(np.int64), _column(rows, "k")[row], _column(rows, "t")[row], lo.astype(np.int32), n.astype(np.int32)],
                 names=["h", "c", "k", "t", "lo", "n"],
             )
 
@@ -184,7 +184,7 @@ def _context_rows(unit: str, window: int) -> Callable:
                 size.append(np.zeros(len(each), np.int32))
             who = np.concatenate(who)
             yield pa.RecordBatch.from_arrays(
-                [np.concatenate(key), pa.array(payload, pa.binary()), _column(rows, "k")[who], _column(rows, "t")[who].astype(np.int32), np.concatenate(place).astype(np.int32), np.concatenate(size).astype(np.int32)],
+                [np.concatenate(key), pa.array(payload, pa.binary()), _column(rows, "k")[who], _column(rows, "t")[who], np.concatenate(place).astype(np.int32), np.concatenate(size).astype(np.int32)],
                 names=["key", "payload", "k", "t", "lo", "n"],
             )
 
@@ -236,7 +236,7 @@ def _shards(window: int, index: Callable) -> Callable:
             string, place, length, group = index(rows.column("payload").to_pylist(), rows.column("n").to_numpy(), window)
             k, t, lo = (rows.column(x).to_numpy() for x in names[:3])
             return pa.RecordBatch.from_arrays(
-                [k[string], t[string].astype(np.int32), (lo[string] + place).astype(np.int32), length.astype(np.int32), group],
+                [k[string], t[string], (lo[string] + place).astype(np.int32), length.astype(np.int32), group],
                 names=["k", "t", "start", "length", "group_id"],
             )
 
@@ -286,10 +286,10 @@ def repeated_windows(docs: DataFrame, unit: str, window: int) -> tuple[DataFrame
     keys = keyed(docs)
     runs = (
         keys.drop("doc_id")
-        .mapInArrow(_anchor_rows(unit, window, gram), "h long, c long, k long, t int, lo int, n int")
+        .mapInArrow(_anchor_rows(unit, window, gram), "h long, c long, k long, t long, lo int, n int")
         .repartition("h")
         .sortWithinPartitions("h", "c")
-        .mapInArrow(_resolve, "h long, k long, t int, lo int, n int, whole boolean")
+        .mapInArrow(_resolve, "h long, k long, t long, lo int, n int, whole boolean")
     )
     runs = cut(runs)
     asked = runs.where("not whole")
@@ -303,10 +303,10 @@ def repeated_windows(docs: DataFrame, unit: str, window: int) -> tuple[DataFrame
     )
     shards = (
         keys.join(wanted, ["k", "t"])  # doc_id goes along, so this exchange and that of with_spans are one
-        .mapInArrow(_context_rows(unit, window), "key long, payload binary, k long, t int, lo int, n int")
+        .mapInArrow(_context_rows(unit, window), "key long, payload binary, k long, t long, lo int, n int")
         .repartition("key")
         .sortWithinPartitions("key", "payload")
-        .mapInArrow(_shards(window, _array_shard if unit == "byte" else _automaton_shard), "k long, t int, start int, length int, group_id long")
+        .mapInArrow(_shards(window, _array_shard if unit == "byte" else _automaton_shard), "k long, t long, start int, length int, group_id long")
     )
     whole = runs.where("whole").select("k", "t", F.col("lo").alias("start"), (F.col("n") + (window - 1)).cast("int").alias("length"), F.col("h").alias("group_id"))
     return keys, whole.unionByName(shards)

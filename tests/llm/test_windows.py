@@ -115,3 +115,15 @@ def test_index_structures():
         assert got == want
         automaton = SuffixAutomaton(strings)
         assert {(i, x) for i, s in enumerate(strings) for a, b in automaton.repeats(s, least) for x in range(a, b)} == want
+
+
+def test_texts_without_id_and_of_one_32_bit_hash_stay_apart(spark):
+    """A passage of one text must not be cut from another that has the same Murmur3 hash and no id either."""
+    rng = random.Random(8)
+    passage, other = ("".join(rng.choice("abcdefghijkl") for _ in range(260)) for _ in range(2))
+    ids = spark.range(200_000).select(F.col("id").cast("string").alias("i"))
+    side = lambda text, name: ids.select(F.concat(F.lit(text), "i").alias(name)).withColumn("h", F.hash(name))
+    a, b = side(passage, "a").join(side(other, "b"), "h").select("a", "b").orderBy("a").first()
+    rows = [(None, a, "", "", 1), (None, b, "", "", 1), (1, passage + "!", "", "", 1)]
+    left = {r.text for r in suffix_dedup.remove(spark.createDataFrame(rows, DDL), 200).collect()}
+    assert left == {a.removeprefix(passage), b, "!"}

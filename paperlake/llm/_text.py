@@ -92,6 +92,22 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return span_hash(p, start, end, base)
 
 
+def cut_at_spaces(data: np.ndarray, limit: int):
+    """[a, b) parts of one long text, each of ``limit`` bytes and up to the next white space, so no word is divided."""
+    a = 0
+    while a < len(data):
+        b = min(a + limit, len(data))
+        while b < len(data):
+            ahead = data[b : b + limit]
+            space = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+            if len(space):
+                b += int(space[0])
+                break
+            b = min(b + limit, len(data))
+        yield a, b
+        a = b
+
+
 def token_offsets(row: np.ndarray, n_rows: int) -> np.ndarray:
     """Offsets of each row's tokens, from the row of each token."""
     return np.searchsorted(row, np.arange(n_rows + 1), "left").astype(np.int64)

@@ -4,37 +4,40 @@ from __future__ import annotations
 
 
 class SuffixAutomaton:
-    """Built online from sequences; ``count[v]`` is how many places of the shard the state's strings end at."""
+    """Built online from sequences; ``count[v]`` is how many places of the shard the state's strings end at.
 
-    def __init__(self, sequences):
+    ``weights`` tells how often each sequence stands in the corpus.
+    """
+
+    def __init__(self, sequences, weights=None):
         self.next: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
         self.count = [0]
-        for sequence in sequences:
-            self._add(sequence)
+        for i, sequence in enumerate(sequences):
+            self._add(sequence, 1 if weights is None else weights[i])
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
         for v in order:
             self.count[self.link[v]] += self.count[v]
 
-    def _add(self, sequence) -> None:
+    def _add(self, sequence, weight: int) -> None:
         nxt, link, length, count = self.next, self.link, self.length, self.count
         last = 0  # a fresh start makes it a generalised automaton: nothing crosses sequences
         for t in sequence:
             have = nxt[last].get(t)
             if have is not None and length[have] == length[last] + 1:
                 last = have
-                count[last] += 1
+                count[last] += weight
                 continue
             if have is not None:
                 last = self._clone(last, have, t)
-                count[last] += 1
+                count[last] += weight
                 continue
             new = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
             link.append(0)
-            count.append(1)
+            count.append(weight)
             p = last
             while p >= 0 and t not in nxt[p]:
                 nxt[p][t] = new

@@ -5,7 +5,9 @@ common-prefix interval tree, testing left-extension diversity, yields the maxima
 occurrences (``esa.py``; ``windows.py`` deals the contexts so that no shard is unbounded).
 
 Null text counts as empty; texts shorter than the window never change; empty tables give empty results; rows that
-repeat an id are documents of their own; extra columns are ignored (``repeats``, ``digest``) or kept (``remove``).
+repeat an id are documents of their own (with equal texts too, and those repeat as a whole); extra columns are ignored
+(``repeats``, ``digest``) or kept (``remove``). A very long text is winnowed in pieces; several times its bytes must fit
+a Python worker once. Nothing depends on an order, so there are no ties.
 """
 
 from __future__ import annotations
@@ -15,21 +17,26 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .windows import merged, repeated_windows, with_spans
+from .windows import joined_groups, merged, repeated_windows, row_key, with_spans
 
 WINDOW = 200
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(group_id, doc_id, start, length): occurrences, in bytes, of repeats of ``window`` bytes or more.
+    """(group_id, doc_id, start, length): maximal repeats of ``window`` bytes or more, each with all its places.
 
-    Rows of one group_id hold equal bytes. Every occurrence that no longer repeat covers is there.
+    The rows of a group hold equal bytes, which stand nowhere else. A group ends where the bytes around its places
+    differ, or where the next window also stands in further places (it is in a group of its own then). Rows of equal
+    doc_id and text give each place once.
     """
-    _, spans = repeated_windows(docs, "byte", window)
-    return spans.select("group_id", F.when(F.col("k") != -(2**63), F.col("k")).alias("doc_id"), "start", "length")
+    keys, spans = repeated_windows(docs, "byte", window, groups=True)
+    found = joined_groups(spans, window)
+    none = keys.where("doc_id is null").select("k", "t", F.lit(True).alias("no_id")).distinct()
+    doc_id = F.when(F.col("no_id").isNull(), F.col("k")).alias("doc_id")
+    return found.join(none, ["k", "t"], "left").select("group_id", doc_id, "start", "length")
 
 
-def _kept(raw: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
+def _kept(raw: bytes | memoryview, spans) -> tuple[bytes, list[tuple[int, int]]]:
     runs = merged(spans)
     out, at = [], 0
     for a, b in runs:
@@ -42,8 +49,8 @@ def _kept(raw: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
 def _digest(batches):
     for batch in batches:
         rows = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = text.encode()
+        for raw, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            raw = memoryview(raw.as_buffer())
             kept, runs = _kept(raw, spans)
             rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
         size, removed, n, sha = zip(*rows) if rows else ((), (), (), ())
@@ -72,11 +79,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     fresh = "spans"
     while fresh in docs.columns:
         fresh += "_"
-    whole = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("doc"),
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("k"),
-        F.xxhash64(docs["text"]).alias("t"),
-    )
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), *row_key(docs))
     full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("spans").alias(fresh))
 
     def run(batches):

@@ -2,8 +2,9 @@
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,10 +48,11 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("hot", [windows.HOT, 1])
+@pytest.mark.parametrize("hot,busy", [(windows.HOT, windows.BUSY), (1, 1)])
 @pytest.mark.parametrize("window", [200, 20])
-def test_bytes(spark, odd, monkeypatch, hot, window):
+def test_bytes(spark, odd, monkeypatch, hot, busy, window):
     monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "BUSY", busy)
     texts = odd_texts()
     assert rows(suffix_dedup.digest(odd, window)) == byte_rows(range(len(texts)), texts, window)
 
@@ -94,12 +96,64 @@ def test_remove(spark, odd):
     assert [tuple(r) for r in suffix_dedup.remove(df).orderBy("doc_id").select("text", "n_chars").collect()] == [("Aé", 2), ("C", 1), ("clean", 5), (None, None)]
 
 
-def test_repeat_groups_hold_equal_bytes(spark, odd):
-    texts = {i: (t or "").encode() for i, t in enumerate(odd_texts())}
-    groups = {}
-    for r in suffix_dedup.repeats(odd).collect():
-        groups.setdefault((r.group_id, r.length), set()).add(texts[r.doc_id][r.start : r.start + r.length])
-    assert groups and all(len(g) == 1 for g in groups.values())
+@pytest.mark.parametrize("hot,busy", [(windows.HOT, windows.BUSY), (1, 2)])
+def test_repeat_groups(spark, odd, monkeypatch, hot, busy):
+    """Each group is one string with all its places, and is closed; all repeated windows are in groups."""
+    monkeypatch.setattr(windows, "HOT", hot)
+    monkeypatch.setattr(windows, "BUSY", busy)
+    window = 40
+    texts = [(t or "").encode() for t in odd_texts()]
+    rows = [r for i, t in enumerate(texts[:5] + texts[6:]) for r in [(i, t)]]  # exact copies have further tests
+    texts = dict(rows)
+    df = spark.createDataFrame([(i, t.decode(), "", "", 1) for i, t in rows], DDL)
+    places = defaultdict(set)
+    for i, t in texts.items():
+        for j in range(len(t) - window + 1):
+            places[t[j : j + window]].add((i, j))
+    groups = defaultdict(set)
+    for r in suffix_dedup.repeats(df, window).collect():
+        groups[r.group_id].add((r.doc_id, r.start, r.length))
+    covered_places = set()
+    for found in groups.values():
+        (length,) = {n for _, _, n in found}
+        at = {(i, j) for i, j, _ in found}
+        i, j = min(at)
+        word = texts[i][j : j + length]
+        assert len(at) > 1 and length >= window
+        assert at == {(d, p) for d, p in places[word[:window]] if texts[d][p : p + length] == word}
+        covered_places |= {(d, p + x) for d, p in at for x in range(length - window + 1)}
+        # a neighbouring window of all places belongs to it unless it differs or stands elsewhere too
+        for shift in (-1, length - window + 1):
+            beside = {texts[d][p + shift : p + shift + window] if p + shift >= 0 else (d, p) for d, p in at}
+            if len(beside) == 1 and len(w := beside.pop()) == window:
+                assert len(places[w]) > len(at)
+    assert covered_places == {p for at in places.values() if len(at) > 1 for p in at}
+
+
+def test_a_long_passage_is_one_group(spark):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(3000))
+    df = make(spark, ["A" + passage + "x", "BB" + passage, passage + "z", "unrelated"])
+    assert {tuple(r)[1:] for r in suffix_dedup.repeats(df).collect()} == {(0, 1, 3000), (1, 2, 3000), (2, 0, 3000)}
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of a long text, words cut by none of them, give what the whole text gives."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(30_000))
+    texts = [long, "start " + long[50_000:90_000], "x" * 70_000 + " " + long[:3000], " " * 40_000 + long[60_000:61_000], None]
+    monkeypatch.setattr(windows, "PIECE", 16_000)
+    assert substring_dedup._without(texts[3].encode(), [(0, 3), (10, 40), (50, 51)], 30) == substring_dedup._without(texts[3].encode(), [(0, 3), (10, 40), (50, 51)])
+    assert rows(suffix_dedup.digest(make(spark, texts))) == byte_rows(range(5), texts, 200)
+    assert rows(substring_dedup.digest(make(spark, texts))) == word_rows(range(5), texts, 35)
+
+
+@pytest.mark.parametrize("unit", ["byte", "word"])
+def test_the_index_decides(spark, odd, monkeypatch, unit):
+    monkeypatch.setitem(windows.INDEX, unit, lambda payload, *_: (np.zeros(0, np.int64),) * 4)
+    digest = suffix_dedup.digest if unit == "byte" else substring_dedup.digest
+    assert all(r.n_removed == 0 for r in digest(odd, 20 if unit == "byte" else 6).collect())
 
 
 def test_index_structures():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 A4_MM = (210.0, 297.0)
@@ -175,9 +177,6 @@ def quad_resolution(q: dict[str, Column]) -> Column:
 def solve_homography(source: Column, target: Column) -> Column:
     """The nine numbers (row by row, the last one 1) that take four points (array of struct x, y) to four others; null
     where they do not fix it. A batch of 8 x 8 systems at a time."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def solve(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []

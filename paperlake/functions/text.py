@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Hangul runs, Latin runs and digit runs.
@@ -33,9 +39,6 @@ def word_tokens(text: Column | str, particles=PARTICLES) -> Column:
 
 def composed(text: Column | str, form: str = "NFC") -> Column:
     """Normalised text; only what is not ASCII goes through Python."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -47,10 +50,6 @@ def composed(text: Column | str, form: str = "NFC") -> Column:
 
 def match_form(text: Column | str) -> Column:
     """Text for matching: NFKC, case folded, without white space; ASCII text stays in the engine."""
-    import re
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -64,10 +63,6 @@ def match_form(text: Column | str) -> Column:
 def canonical_sha256(payload: Column | str, drop: tuple = (), ascii_only: bool = False, keep: tuple = ()) -> Column:
     """SHA-256 of JSON text in one spelling: sorted keys, no spaces; ``drop`` leaves out keys of the outer object and
     ``keep``, where given, names the only ones. Null where it is no finite JSON."""
-    import hashlib
-    import json
-
-    import pandas as pd
 
     def number(name):
         raise ValueError(name)

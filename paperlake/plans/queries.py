@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import geometry as g, pii, text as t
-from ..operators import audit, conversation, layout, matching, metrics, retrieval
+from ..operators import audit, catalog, conversation, layout, matching, metrics, retrieval
 from ..streaming import session
 
 _QUERIES: dict[str, Callable] = {}
@@ -92,9 +92,8 @@ _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 
 @query(f"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '[EMAIL]', 'g') AS masked FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
 def masked_emails(spark, d):
-    rules = [r for r in pii.RULES if r.pii_type == "email"]
-    rows = pii.detect(table(spark, d, "documents").select("doc_id", "text"), "text", rules)
-    return rows.where(F.size("spans") > 0).select("doc_id", pii.mask(F.col("text"), F.col("spans")).alias("masked"))
+    rows = table(spark, d, "documents").where(F.col("text").rlike(_EMAIL))
+    return rows.select("doc_id", F.regexp_replace("text", _EMAIL, "[EMAIL]").alias("masked"))
 
 
 @query()
@@ -223,13 +222,29 @@ def paragraphs(spark, d):
     return layout.paragraphs(rows, 0.5).select(F.col("doc_id").alias("image"), F.col("line").alias("ord"), "paragraph")
 
 
-@query()
+_WORD_LINES = f"""
+w AS (SELECT image, ord, kind, x, y / 4 AS y, w, h, confidence, row_number() OVER (PARTITION BY image ORDER BY y / 4 + h / 2, x, ord) AS k FROM ({_BOXES}) WHERE trim(kind) <> ''),
+f AS (SELECT image, k, ord, 0 AS bucket, y + h / 2 AS total, 1 AS n FROM w WHERE k = 1
+  UNION ALL SELECT w.image, w.k, w.ord, f.bucket + (NOT same)::INT, CASE WHEN same THEN total + y + h / 2 ELSE y + h / 2 END, CASE WHEN same THEN f.n + 1 ELSE 1 END
+  FROM f JOIN w ON w.image = f.image AND w.k = f.k + 1, LATERAL (SELECT abs(w.y + w.h / 2 - f.total / f.n) <= 2.5 AS same))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_WORD_LINES}
+    SELECT image AS doc_id, (row_number() OVER (PARTITION BY image ORDER BY min(y), min(x), bucket) - 1)::INT AS line, string_agg(kind, ' ' ORDER BY x, y, ord) AS text,
+      min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, min(confidence) AS confidence FROM f JOIN w USING (image, ord) GROUP BY image, bucket"""
+)
 def text_lines(spark, d):
     words = boxes(spark, d).select(F.col("image").alias("doc_id"), "ord", F.col("kind").alias("text"), "x", (F.col("y") / 4).alias("y"), "w", "h", "confidence")
     return layout.lines(words)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS ({_BOXES}),
+    l AS (SELECT a.image, a.ord AS a, o.ord AS o FROM b a JOIN b o ON a.image = o.image AND greatest(a.x, o.x) - least(a.x + a.w, o.x + o.w) <= 2 AND greatest(a.y, o.y) - least(a.y + a.h, o.y + o.h) <= 2),
+    r AS (SELECT image, a, o FROM l UNION SELECT r.image, r.a, l.o FROM r JOIN l ON l.image = r.image AND l.a = r.o)
+    SELECT r.image AS doc_id, r.a AS ord, arg_min(r.o, (b.y, b.x, b.ord)) AS component FROM r JOIN b ON b.image = r.image AND b.ord = r.o GROUP BY r.image, r.a"""
+)
 def box_groups(spark, d):
     return layout.near_groups(boxes(spark, d).withColumnRenamed("image", "doc_id"), 2.0)
 
@@ -241,27 +256,81 @@ def _shifted(spark, d):
     return boxes(spark, d).withColumn("x", F.col("x") + F.pmod(F.col("image"), F.lit(4)) * 1.5)
 
 
-@query()
+_SHIFTED = f"SELECT image, ord, kind, x + (image % 4) * 1.5 AS x, y, w, h, confidence FROM ({_BOXES})"
+
+
+def _iou(a: str, b: str) -> str:
+    common = f"greatest(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y), 0)"
+    return f"coalesce({common} / nullif({a}.w * {a}.h + {b}.w * {b}.h - {common}, 0), 0)"
+
+
+@query(
+    f"""WITH RECURSIVE t AS ({_BOXES}), p AS (SELECT *, row_number() OVER (PARTITION BY image, kind ORDER BY -confidence, ord) AS k FROM ({_SHIFTED}) WHERE confidence >= 0.93),
+    o AS (SELECT p.image, p.kind, p.k, list({{'v': {_iou('p', 't')}, 't': t.ord}} ORDER BY {_iou('p', 't')} DESC, t.ord) AS near FROM p JOIN t ON t.image = p.image AND t.kind = p.kind GROUP BY ALL),
+    f AS (SELECT DISTINCT image, kind, 0::BIGINT AS k, []::INT[] AS used, 0::DOUBLE AS overlap FROM o
+      UNION ALL SELECT f.image, f.kind, f.k + 1, CASE WHEN hit.v >= 0.5 THEN list_append(used, hit.t) ELSE used END, CASE WHEN hit.v >= 0.5 THEN overlap + hit.v ELSE overlap END
+      FROM f JOIN o ON o.image = f.image AND o.kind = f.kind AND o.k = f.k + 1, LATERAL (SELECT list_filter(near, lambda c: NOT list_contains(used, c.t))[1] AS hit)),
+    e AS (SELECT kind, sum(n)::BIGINT AS tp, sum(overlap) AS overlap FROM (SELECT image, kind, max(len(used)) AS n, max(overlap) AS overlap FROM f GROUP BY ALL) GROUP BY kind),
+    n AS (SELECT kind, (SELECT count(*) FROM p WHERE p.kind = t.kind) AS np, count(*) AS nt FROM t GROUP BY kind)
+    SELECT kind, (SELECT count(DISTINCT image) FROM t) AS evaluated, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, nt - coalesce(tp, 0) AS fn, round(tp / nullif(np, 0)::DOUBLE, 6) AS precision, round(tp / nullif(nt, 0)::DOUBLE, 6) AS recall,
+      round(2 * tp / (np + nt)::DOUBLE, 6) AS f1, round(overlap / nullif(tp, 0), 6) AS mean_iou FROM n LEFT JOIN e USING (kind)"""
+)
 def detection_metrics(spark, d):
-    out = metrics.detection_metrics(boxes(spark, d), _shifted(spark, d), 0.5, 0.93)
-    return out.select("kind", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou")))
+    samples = matching.box_arrays(boxes(spark, d), "truth").join(matching.box_arrays(_shifted(spark, d), "predictions"), "image")
+    out = metrics.detection_metrics(samples, ["A", "N", "R"], 0.5, 0.93)
+    return out.select("kind", "evaluated", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "mean_iou")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS ({_BOXES}), p AS ({_SHIFTED}), d AS (SELECT p.image, p.ord AS p, t.ord AS t, sqrt((p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y)) AS d FROM p JOIN t ON p.image = t.image),
+    o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY d, p, t) AS k FROM d WHERE d <= 8),
+    f AS (SELECT image, k, [p] AS ps, [t] AS ts, p, t, d, true AS hit FROM o WHERE k = 1
+      UNION ALL SELECT o.image, o.k, CASE WHEN free THEN list_append(ps, o.p) ELSE ps END, CASE WHEN free THEN list_append(ts, o.t) ELSE ts END, o.p, o.t, o.d, free
+      FROM f JOIN o ON o.image = f.image AND o.k = f.k + 1, LATERAL (SELECT NOT list_contains(ps, o.p) AND NOT list_contains(ts, o.t) AS free))
+    SELECT image AS doc, p AS p_id, t AS t_id, round(d, 9) AS distance FROM f WHERE hit"""
+)
 def target_matches(spark, d):
     points = lambda df: df.select(F.col("image").alias("doc"), F.lit("any").alias("family"), F.col("ord").alias("id"), "x", "y")
-    return matching.target_matches(points(_shifted(spark, d)), points(boxes(spark, d)))
+    return matching.target_matches(points(_shifted(spark, d)), points(boxes(spark, d))).withColumn("distance", F.round("distance", 9))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY -round_even(confidence, 6), -round_even(w * h, 6), round_even(y, 3), round_even(x, 3), ord) AS k FROM ({_BOXES})),
+    f AS (SELECT image, k, ord, true AS keep, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM b WHERE k = 1
+      UNION ALL SELECT b.image, b.k, b.ord, keep.ok, CASE WHEN keep.ok THEN list_append(kept, {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) ELSE kept END
+      FROM f JOIN b ON b.image = f.image AND b.k = f.k + 1, LATERAL (SELECT len(list_filter(kept, lambda c: {_iou('c', 'b')} >= 0.30)) = 0 AS ok) keep)
+    SELECT image, ord FROM f WHERE keep"""
+)
 def suppressed_boxes(spark, d):
     return matching.suppress(boxes(spark, d), "image")
 
 
-@query()
+def _areas(name: str, rows: str) -> str:
+    return f"""{name}b AS ({rows}), {name}e AS (SELECT DISTINCT image, x AS e FROM {name}b UNION SELECT image, x + w FROM {name}b), {name}s AS (SELECT *, lead(e) OVER (PARTITION BY image ORDER BY e) AS t FROM {name}e),
+    {name}i AS (SELECT s.image, e, t, y, y + h AS bottom, max(y + h) OVER (PARTITION BY s.image, e ORDER BY y, y + h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {name}s s JOIN {name}b b ON b.image = s.image AND x <= e AND x + w >= t),
+    {name} AS (SELECT image, sum(greatest(0, bottom - greatest(y, coalesce(reach, y))) * (t - e)) AS area FROM {name}i GROUP BY image)"""
+
+
+_COMMON = f"""SELECT a.image, greatest(a.x, b.x) AS x, greatest(a.y, b.y) AS y, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS w, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS h
+    FROM ({_BOXES}) a JOIN ({_SHIFTED}) b ON a.image = b.image WHERE least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)"""
+_MASKED = f"""{_areas('truth', _BOXES)}, {_areas('masked', _SHIFTED)}, {_areas('hidden', _COMMON)},
+    images AS (SELECT truth.image, truth.area AS truth, masked.area AS masked, coalesce(hidden.area, 0) AS hidden FROM truth JOIN masked USING (image) LEFT JOIN hidden USING (image))"""
+
+
+@query(f"WITH {_MASKED} SELECT image, round(truth, 4) AS truth, round(masked, 4) AS masked, round(hidden, 4) AS hidden FROM images")
+def mask_areas(spark, d):
+    out = metrics.mask_areas(boxes(spark, d), _shifted(spark, d))
+    return out.select("image", *(F.round(c, 4).alias(c) for c in ("truth", "masked", "hidden")))
+
+
+@query(
+    f"""WITH {_MASKED} SELECT count(*) AS evaluated, round(sum(truth), 2) AS truth, round(sum(truth - hidden), 2) AS uncovered, round(sum(masked - hidden), 2) AS excess, round(sum(truth - hidden) / sum(truth), 6) AS uncovered_rate,
+    round(sum(masked - hidden) / sum(masked), 6) AS excess_rate, round(sum(masked - hidden) / (count(*) * 210.0 * 297.0 - sum(truth)), 6) AS needless_rate FROM images"""
+)
 def mask_metrics(spark, d):
-    out = metrics.mask_metrics(boxes(spark, d), _shifted(spark, d))
-    return out.select("image", *(F.round(c, 4).alias(c) for c in out.columns[1:]))
+    images = boxes(spark, d).select("image").distinct().select("image", F.lit(210).alias("width"), F.lit(297).alias("height"))
+    out = metrics.mask_metrics(images, boxes(spark, d), _shifted(spark, d))
+    return out.select("evaluated", *(F.round(c, 2).alias(c) for c in ("truth", "uncovered", "excess")), *(F.round(c, 6).alias(c) for c in ("uncovered_rate", "excess_rate", "needless_rate")))
 
 
 _RULES = [("r1", "user", ["tion", "en"], ["zzz"], True), ("r2", "user", ["heit", "ein"], [], True), ("r3", "assistant", ["the", "ing"], ["ñ"], True), ("r4", "assistant", ["que"], [], False)]
@@ -278,9 +347,20 @@ _RULES = [("r1", "user", ["tion", "en"], ["zzz"], True), ("r2", "user", ["heit",
     SELECT id, status, CASE WHEN status = 'matched' THEN rule_id END AS rule_id FROM s"""
 )
 def rule_matches(spark, d):
-    rules = spark.createDataFrame(_RULES, "rule_id string, scope string, keywords array<string>, forbidden array<string>, approved boolean")
-    observed = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("scope"), "text", (1 - F.col("turn") * 0.03).alias("confidence"), (F.col("turn") % 7 != 0).alias("verified"))
-    return matching.rule_matches(observed, F.broadcast(rules))
+    page = [F.lit("form").alias("document_id"), F.lit("1").alias("document_version"), F.lit(1).alias("page")]
+    kind = lambda c: F.when(F.col(c) == "user", "checkbox").otherwise("signature").alias("field_type")
+    rules = spark.createDataFrame(_RULES, "field_id string, scope string, keywords array<string>, forbidden_keywords array<string>, approved boolean")
+    entries = rules.select(
+        *page, "field_id", kind("scope"), "keywords", "forbidden_keywords", F.struct(F.when(F.col("approved"), "approved").otherwise("draft").alias("status")).alias("approval"),
+        *(F.lit(None).cast("string").alias(c) for c in ("content_sha256", "reading_mode", "source_text")), F.lit("").alias("instruction"),
+    )
+    sure = F.lit(1.0)
+    observed = table(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), *page, kind("role"), F.when(F.col("role").isin("user", "assistant"), F.col("text")).otherwise("").alias("surrounding_text"), sure.alias("document_confidence"),
+        sure.alias("detection_confidence"), (1 - F.col("turn") * 0.03).alias("ocr_confidence"), (F.col("turn") % 7 != 0).alias("identity_verified"), F.lit(False).alias("needs_review"),
+    )
+    status = F.when(F.col("status") == "unverified_document", "unverified").otherwise(F.col("status"))
+    return catalog.match(observed, F.broadcast(entries), "production").select("id", status.alias("status"), F.col("field_id").alias("rule_id"))
 
 
 @query("SELECT l_orderkey AS image, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS best FROM lineitem GROUP BY 1")
@@ -416,6 +496,9 @@ def round_trips(spark, d):
     return rows.select(back.eqNullSafe(row).alias("same")).agg(F.count("*").alias("n"), metrics.ratio(F.count_if("same"), F.count("*")).alias("rate"))
 
 
+from . import forms  # noqa: E402, F401  # registers its queries
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -86,6 +88,11 @@ def centre(b: Box) -> tuple[Column, Column]:
     return b[0] + b[2] / 2, b[1] + b[3] / 2
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def area(b: Box) -> Column:
     return b[2] * b[3]
 

@@ -10,6 +10,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from .geometry import bound
+
 #: Hangul runs, Latin runs and digit runs.
 WORD = "[가-힣]+|[a-z]+|[0-9]+"
 
@@ -126,11 +128,14 @@ def chunks(body: Column | str, size: int = 500, overlap: int = 50) -> Column:
         longer = joined(acc["now"], piece)
         tail = F.substring(acc["now"], F.greatest(F.length(acc["now"]) - overlap + 1, F.lit(1)), F.lit(overlap))
         next_ = trimmed(joined(tail, piece))
-        cuts = F.greatest(F.lit(0), F.ceil((F.length(next_) - size) / step).cast("int"))
-        hard = F.transform(F.when(cuts > 0, F.sequence(F.lit(0), cuts - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(next_, i * step + 1, F.lit(size)))
-        done = F.concat(acc["done"], F.when(acc["now"] == "", F.array().cast("array<string>")).otherwise(F.array(acc["now"])), hard)
         fits = F.length(longer) <= size
-        return F.struct(F.when(fits, acc["done"]).otherwise(done).alias("done"), F.when(fits, longer).otherwise(F.substring(next_, cuts * step + 1, F.length(next_))).alias("now"))
+        kept = F.concat(acc["done"], F.when(acc["now"] == "", F.array().cast("array<string>")).otherwise(F.array(acc["now"])))
+        return F.when(fits, F.struct(acc["done"].alias("done"), longer.alias("now"))).otherwise(bound(next_, lambda n: cut_up(kept, n)))
+
+    def cut_up(done, text):
+        cuts = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step).cast("int"))
+        hard = F.transform(F.when(cuts > 0, F.sequence(F.lit(0), cuts - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+        return F.struct(F.concat(done, hard).alias("done"), F.substring(text, cuts * step + 1, F.length(text)).alias("now"))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
     packed = F.aggregate(pieces, start, add, lambda acc: F.filter(F.array_append(acc["done"], acc["now"]), lambda c: c != ""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geometry import from_normalised, inverse_matrix, transformed_box, valid_box
+from ..functions.geometry import bound, from_normalised, inverse_matrix, transformed_box, valid_box
 from ..functions.text import canonical_sha256
 from .conversation import ordered_case
 
@@ -71,10 +71,11 @@ def predictions(rows: DataFrame) -> DataFrame:
     back = inverse_matrix(F.col("source_to_normalized"))
     b = [F.col("bbox")[i] for i in range(4)]
     sx, sy = F.col("normalized_width") / 210.0, F.col("normalized_height") / 297.0
-    moved = transformed_box(back, (b[0] * sx, b[1] * sy, b[2] * sx, b[3] * sy), width, height)
-    mm = valid_box(F.col("bbox"), F.lit(210.0), F.lit(297.0)) & moved[0].isNotNull()
-    placed = F.when(F.col("coordinate_system") == "image_px", F.col("bbox")).when((F.col("coordinate_system") == "normalized_a4_mm") & mm, F.array(*moved))
-    return rows.withColumn("box", F.when(F.col("confidence").isNotNull(), object_box(F.col("kind"), placed, F.col("confidence"), width, height)))
+    moved = bound(back, lambda m: F.array(*transformed_box(m, (b[0] * sx, b[1] * sy, b[2] * sx, b[3] * sy), width, height)))
+    mm = valid_box(F.col("bbox"), F.lit(210.0), F.lit(297.0))
+    placed = F.when(F.col("coordinate_system") == "image_px", F.col("bbox")).when((F.col("coordinate_system") == "normalized_a4_mm") & mm, moved)
+    box = bound(placed, lambda p: object_box(F.col("kind"), p, F.col("confidence"), width, height))  # a box beyond the horizon has nulls and is none
+    return rows.withColumn("box", F.when(F.col("confidence").isNotNull(), box))
 
 
 def fingerprint(samples: DataFrame, columns: list[str]) -> DataFrame:

@@ -23,11 +23,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too large a share of a source's different texts go, so copies count once; a null text stays null."""
     lines = F.split("text", "\n", -1)
-    kept = line_dedup.dedup(docs, "source", F.coalesce(lines, F.array().cast("array<string>")), into="_kept", copies_once=True)
-    text = F.when(F.col("text").isNull(), None).otherwise(F.concat_ws("\n", "_kept"))
-    return kept.select(*(docs.columns), text.alias("_text")).select(
-        *(F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns)
-    )
+    into = "_kept" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    kept = line_dedup.dedup(docs, "source", F.coalesce(lines, F.array().cast("array<string>")), into=into, copies_once=True)
+    text = F.when(F.col("text").isNull(), None).otherwise(F.concat_ws("\n", into))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,10 @@ def test_stages_with_copies_counted_once(spark, sf, monkeypatch):
 
     monkeypatch.setitem(globals(), "without_boilerplate", once)
     test_stages(spark, sf)
+
+
+def test_line_stage_keeps_columns_of_any_name(spark):
+    rows = [(i, f"menu\ntext {i}", "en", "a", 9, "x", ["y"]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string, _kept array<string>")
+    got = pipeline.line_stage(spark, docs, "").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, f"text {i}", "en", "a", 6, "x", ["y"]) for i in range(6)]

@@ -286,10 +286,10 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_
     theirs = mine.where(F.col("model") != ALL)
     own = theirs.groupBy("model", "class").agg(quant("perplexity").alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
     middle = theirs.groupBy("model").agg(F.percentile_approx("perplexity", F.lit(0.5), F.lit(10000)).alias("middle"))
-    shares = theirs.join(F.broadcast(middle), "model").withColumn("share", F.col("perplexity") / F.col("middle"))
-    shape = shares.groupBy("class").agg(quant("share").alias("shape"), F.count("*").alias("n")).where(F.col("n") >= LEAST).drop("n")
+    shares = mine.join(F.broadcast(middle), "model", "left").withColumn("share", F.col("perplexity") / F.col("middle"))  # null for all languages
+    shape = shares.groupBy("class").agg(quant("share").alias("shape"), F.count("share").alias("n")).where(F.col("n") >= LEAST).drop("n")
     whole = mine.groupBy("class").agg(quant("perplexity").alias("of_class"))
-    every = mine.agg(quant("perplexity").alias("of_all")).join(shares.agg(quant("share").alias("any_shape")))
+    every = shares.agg(quant("perplexity").alias("of_all"), quant("share").alias("any_shape"))
     # a row a language and length class, a row a language, two a length class, one row
     scored = scored.join(F.broadcast(own), ["model", "class"], "left").join(F.broadcast(middle), "model", "left")
     scored = scored.join(F.broadcast(shape), "class", "left").join(F.broadcast(whole), "class", "left").join(F.broadcast(every), F.lit(True), "left")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._spark import cut
+from ._spark import cut, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

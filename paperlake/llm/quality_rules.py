@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._spark import tidy
 from ._text import _R1, blocks, mix, powers, prefix, span_hash, word_hashes, words
 
 #: Documents that the order of the rules is measured on.
@@ -215,7 +216,7 @@ def counts(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run,
+        tidy(run),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string",
     )
 
@@ -228,4 +229,4 @@ def keep(docs: DataFrame) -> DataFrame:
         for rows, data, offsets in blocks(batches):
             yield rows.filter(pa.array(cascade(Block(data, offsets), rules) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

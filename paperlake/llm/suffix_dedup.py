@@ -17,6 +17,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._spark import tidy
 from .windows import joined_groups, merged, repeated_windows, row_key, with_spans
 
 WINDOW = 200
@@ -83,7 +84,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("spans").alias(fresh))
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             texts = [
                 t if t is None or not spans else _kept(t.encode(), spans)[0].decode(errors="ignore")
                 for t, spans in zip(batch.column(place).to_pylist(), batch.column(len(schema)).to_pylist())
@@ -95,4 +96,4 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return full.mapInArrow(run, schema)
+    return full.mapInArrow(tidy(run), schema)

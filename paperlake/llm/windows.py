@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._spark import cut
+from ._spark import cut, tidy
 from ._text import _R2, anchors, blocks, cut_at_spaces, mix, prefix, span_hash, token_offsets, word_hashes, words
 from .automaton import SuffixAutomaton
 from .esa import SuffixArray, longest_cover
@@ -169,7 +169,7 @@ def _classes(batches):
 def _of_classes(rows: DataFrame) -> DataFrame:
     """Runs (h, c, k, t, lo, n) of anchors that have several, with their role."""
     deal = F.when(F.col("lo") < 0, F.xxhash64("k", "lo", "h")).otherwise(F.col("h"))
-    return rows.repartition(deal).sortWithinPartitions("h", "c").mapInArrow(_classes, _RUNS + ", role int")
+    return rows.repartition(deal).sortWithinPartitions("h", "c").mapInArrow(tidy(_classes), _RUNS + ", role int")
 
 
 def _context_rows(unit: str, window: int) -> Callable:
@@ -321,11 +321,11 @@ def _contexts(texts: DataFrame, runs: DataFrame, hot: DataFrame | None, unit: st
     else:
         asked = asked.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = asked.groupBy("k", "t").agg(F.collect_set(F.struct("lo", "n", "h", "c", (F.col("role") == 2).alias("many"), "hot")).alias("asked"))
-    return texts.join(wanted, ["k", "t"]).mapInArrow(_context_rows(unit, window), "h long, c long, payload binary, n int, many boolean, hot boolean")
+    return texts.join(wanted, ["k", "t"]).mapInArrow(tidy(_context_rows(unit, window)), "h long, c long, payload binary, n int, many boolean, hot boolean")
 
 
 def _class_spans(contexts: DataFrame, unit: str, window: int, groups: bool) -> DataFrame:
-    return contexts.repartition("h").sortWithinPartitions("h", "payload").mapInArrow(_shards(unit, window, groups), "h long, c long, start int, length int, group_id long")
+    return contexts.repartition("h").sortWithinPartitions("h", "payload").mapInArrow(tidy(_shards(unit, window, groups)), "h long, c long, start int, length int, group_id long")
 
 
 def _to_members(runs: DataFrame, found: DataFrame, busy: DataFrame | None) -> DataFrame:
@@ -356,7 +356,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, groups: bool = Fal
     """
     gram = max(1, min(32, window // 5) if unit == "byte" else min(8, window // 4 or 1))
     keys = keyed(docs)
-    runs = cut(_of_classes(keys.drop("doc_id").mapInArrow(_anchor_rows(unit, window, gram), _RUNS)))
+    runs = cut(_of_classes(keys.drop("doc_id").mapInArrow(tidy(_anchor_rows(unit, window, gram)), _RUNS)))
     busy = _busy(runs)
     hot = cut(runs.where("role > 0").groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")))
     n_hot = hot.count()
@@ -366,7 +366,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, groups: bool = Fal
     contexts = _contexts(keys, runs, F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, unit, window)  # 9 bytes a row
     found = _class_spans(contexts.where("not hot"), unit, window, groups)
     texts = contexts.where("hot").select(F.col("h").alias("k"), F.col("c").alias("t"), F.col("payload").alias("text"), "n", "many").repartition("k", "t")
-    single = _of_classes(texts.mapInArrow(_window_rows(unit, window), _RUNS))
+    single = _of_classes(texts.mapInArrow(tidy(_window_rows(unit, window)), _RUNS))
     again = _class_spans(_contexts(texts, single, None, unit, window), unit, window, groups)
     deep = _to_members(single, again, None).select(F.col("k").alias("h"), F.col("t").alias("c"), "start", "length", "group_id")
     return keys, _to_members(runs, found.unionByName(deep), busy)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._text import cut_at_spaces
-from .windows import PIECE, merged, repeated_windows, with_spans
+from .windows import PIECE, merged, repeated_windows, span_rows, with_spans
 
 WINDOW = 35
 
@@ -27,7 +27,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keys, found = repeated_windows(docs, "word", window)
     none = keys.where("doc_id is null").select("k", "t", F.lit(True).alias("no_id")).distinct()
     doc_id = F.when(F.col("no_id").isNull(), F.col("k")).alias("doc_id")
-    return found.join(none, ["k", "t"], "left").select(doc_id, "start", "length").distinct()
+    return span_rows(found).join(none, ["k", "t"], "left").select(doc_id, "start", "length").distinct()
 
 
 def _without(raw: bytes, runs: list[tuple[int, int]], piece: int = PIECE) -> tuple[int, int, bytes]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._spark import tidy
-from .windows import joined_groups, merged, repeated_windows, row_key, with_spans
+from .windows import joined_groups, merged, of_documents, repeated_windows, row_key, span_rows, with_spans
 
 WINDOW = 200
 
@@ -31,7 +31,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id and text give each place once.
     """
     keys, spans = repeated_windows(docs, "byte", window, groups=True)
-    found = joined_groups(spans, window)
+    found = joined_groups(span_rows(spans), window)
     none = keys.where("doc_id is null").select("k", "t", F.lit(True).alias("no_id")).distinct()
     doc_id = F.when(F.col("no_id").isNull(), F.col("k")).alias("doc_id")
     return found.join(none, ["k", "t"], "left").select("group_id", doc_id, "start", "length")
@@ -74,14 +74,13 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     All columns of ``docs`` stay; ``n_chars``, where there is one, follows the new text.
     """
     _, spans = repeated_windows(docs, "byte", window)
-    per = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     schema = docs.schema
     place = schema.names.index("text")
     fresh = "spans"
     while fresh in docs.columns:
         fresh += "_"
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), *row_key(docs))
-    full = whole.join(per, ["k", "t"], "left").select("doc.*", F.col("spans").alias(fresh))
+    full = whole.join(of_documents(spans), ["k", "t"], "left").select("doc.*", F.col("spans").alias(fresh))
 
     def run(batches):
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):

@@ -329,7 +329,7 @@ def _class_spans(contexts: DataFrame, unit: str, window: int, groups: bool) -> D
 
 
 def _to_members(runs: DataFrame, found: DataFrame, busy: DataFrame | None) -> DataFrame:
-    """Spans (k, t, start, length, group_id) of every run of the classes that ``found`` has spans of."""
+    """(k, t, spans) of every run of the classes that ``found`` has spans of: arrays of start, length, group_id."""
     spans = F.collect_set(F.struct("start", "length", "group_id")).alias("spans")
     per = found.groupBy("h", "c").agg(spans)
     runs = runs.select("h", "c", "k", "t", "lo")
@@ -338,7 +338,18 @@ def _to_members(runs: DataFrame, found: DataFrame, busy: DataFrame | None) -> Da
     else:
         few = runs.join(busy, ["h", "c"], "left_anti").join(per, ["h", "c"])
         joined = few.unionByName(runs.join(F.broadcast(per.join(busy, ["h", "c"])), ["h", "c"]))  # an inner join: a semi join would go below the index
-    return joined.select("k", "t", "lo", F.inline("spans")).select("k", "t", (F.col("lo") + F.col("start")).alias("start"), "length", "group_id")
+    moved = F.transform("spans", lambda x: F.struct((F.col("lo") + x["start"]).alias("start"), x["length"].alias("length"), x["group_id"].alias("group_id")))
+    return joined.select("k", "t", moved.alias("spans"))
+
+
+def span_rows(spans: DataFrame) -> DataFrame:
+    """(k, t, start, length, group_id): a row for each span of (k, t, spans)."""
+    return spans.select("k", "t", F.inline("spans"))
+
+
+def of_documents(spans: DataFrame) -> DataFrame:
+    """(k, t, spans): all spans of each document, from those of its runs."""
+    return spans.groupBy("k", "t").agg(F.flatten(F.collect_set(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))))).alias("spans"))
 
 
 def _busy(runs: DataFrame) -> DataFrame | None:
@@ -349,7 +360,7 @@ def _busy(runs: DataFrame) -> DataFrame | None:
 
 
 def repeated_windows(docs: DataFrame, unit: str, window: int, groups: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, spans): spans k, t, start, length, group_id cover exactly the repeated windows.
+    """(keyed documents, spans): the arrays of k, t, spans (start, length, group_id) cover exactly the repeated windows.
 
     ``unit`` "byte" indexes shards by enhanced suffix arrays, "word" by suffix automata; start and length count units.
     With ``groups`` (bytes) every maximal repeat of an anchor's contexts is there with all its places.
@@ -368,7 +379,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, groups: bool = Fal
     texts = contexts.where("hot").select(F.col("h").alias("k"), F.col("c").alias("t"), F.col("payload").alias("text"), "n", "many").repartition("k", "t")
     single = _of_classes(texts.mapInArrow(tidy(_window_rows(unit, window)), _RUNS))
     again = _class_spans(_contexts(texts, single, None, unit, window), unit, window, groups)
-    deep = _to_members(single, again, None).select(F.col("k").alias("h"), F.col("t").alias("c"), "start", "length", "group_id")
+    deep = span_rows(_to_members(single, again, None)).select(F.col("k").alias("h"), F.col("t").alias("c"), "start", "length", "group_id")
     return keys, _to_members(runs, found.unionByName(deep), busy)
 
 
@@ -390,8 +401,7 @@ def joined_groups(spans: DataFrame, window: int) -> DataFrame:
 
 def with_spans(keys: DataFrame, spans: DataFrame) -> DataFrame:
     """Keyed documents (text as bytes) with the array ``spans`` of their (start, length), null where nothing repeats."""
-    per = spans.groupBy("k", "t").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
-    return keys.join(per, ["k", "t"], "left").select("doc_id", "text", "spans")
+    return keys.join(of_documents(spans), ["k", "t"], "left").select("doc_id", "text", "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -181,3 +181,8 @@ def test_texts_without_id_and_of_one_32_bit_hash_stay_apart(spark):
     rows = [(None, a, "", "", 1), (None, b, "", "", 1), (1, passage + "!", "", "", 1)]
     left = {r.text for r in suffix_dedup.remove(spark.createDataFrame(rows, DDL), 200).collect()}
     assert left == {a.removeprefix(passage), b, "!"}
+
+
+def test_word_spans(spark):
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(40)))), (2, " ".join(map(str, range(36)))), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.spans(docs).collect())) == [(1, 0, 36), (2, 0, 36)]
